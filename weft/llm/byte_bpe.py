@@ -153,7 +153,9 @@ def encode_documents(
         return pd.DataFrame([result(coder.encode(t)) for t in texts], columns=names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    # Ids go as text, since pandas would turn a column with nulls into floats.
+    rows = docs.select(F.col(id_col).cast("string").alias("__id"), text.alias("__text"))
     short = rows.where(F.length("__text") <= chunk_chars).select("__id", whole("__text").alias("r"))
 
     # Chunks of long texts. The key is the row's identity and content, so rows that repeat come back as one group and are counted.
@@ -183,16 +185,15 @@ def encode_documents(
         ids = stitch(list(zip(g["start"].astype(int), g["chunk"], g["ends"], g["counts"], g["ids"], strict=True)), coder)
         return pd.DataFrame([(g["__id"].iloc[0], g["__key"].iloc[0], *result(ids))], columns=["__id", "__key", *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     long = (
-        chunks.mapInPandas(pre_tokenise, f"__id {kind}, __key string, start int, chunk string, ends array<int>, counts array<int>, ids binary")
+        chunks.mapInPandas(pre_tokenise, "__id string, __key string, start int, chunk string, ends array<int>, counts array<int>, ids binary")
         .groupBy("__id", "__key")
-        .applyInPandas(join_chunks, f"__id {kind}, __key string, {schema}")
+        .applyInPandas(join_chunks, f"__id string, __key string, {schema}")
     )
     counted = copies.select(F.col("__id").alias("__i"), F.col("__key").alias("__k"), "__copies")
     long = (
         long.join(counted, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")))
         .withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .select(F.col("__id").alias(id_col), *names)
+        .select(F.col("__id").cast(kind).alias(id_col), *names)
     )
-    return short.select(F.col("__id").alias(id_col), "r.*").unionByName(long)
+    return short.select(F.col("__id").cast(kind).alias(id_col), "r.*").unionByName(long)

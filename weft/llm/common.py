@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing refers to any more (between rounds of a long job)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc32_of(c: Column) -> Column:
     """crc32 of a value's decimal text, as the public CRC-32 of its UTF-8 bytes."""
     return F.crc32(c.cast("string").cast("binary"))

@@ -267,5 +267,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             yield frame([r for doc, text in zip(b["__id"], b["__text"], strict=True) for r in packer.add(doc, tokens.encode(text) + end)])
         yield frame(list(packer.close()))
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return rows.mapInPandas(run, f"__id {kind}, {SCHEMA}").withColumnRenamed("__id", id_col)
+    # Ids go as text, since pandas would turn a column with nulls into floats.
+    rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    return rows.mapInPandas(run, f"__id string, {SCHEMA}").select(F.col("__id").cast(kind).alias(id_col), *columns[1:])

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import fit_model, judge_quality
 
@@ -14,6 +20,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, fit_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_components
+
+    return near_components(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,6 +34,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
@@ -35,6 +53,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,9 +73,48 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_packing, op6_url_filter, op7_language_id, op9_byte_bpe, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_quality_rules, op3_near_dedup, op4_packing, op5_html_text, op6_url_filter, op7_language_id,
+        op8_substring_dedup, op9_byte_bpe, op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to, url
+        FROM f
+    """,
+    "op8_substring_dedup": r"""
+        WITH lines AS (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+          FROM documents
+        ), placed AS (
+          SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
+            translate(trim(regexp_replace(line, '[\x09-\x0D ]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+          FROM lines
+        ), units AS (
+          SELECT doc_id, i, s, s + length(line) AS e, norm FROM placed
+          WHERE norm <> '' AND length(norm) - length(replace(norm, ' ', '')) + 1 >= 20
+        ), ranked AS (
+          SELECT *, first_value(doc_id) OVER w AS kd, first_value(s) OVER w AS ks FROM units WINDOW w AS (PARTITION BY norm ORDER BY doc_id, s)
+        ), gone AS (SELECT * FROM ranked WHERE doc_id <> kd OR s <> ks),
+        spans AS (
+          SELECT doc_id, count(*) AS n, string_agg(s || ',' || e || ',' || kd || ',' || ks, ';' ORDER BY s) AS removed FROM gone GROUP BY doc_id
+        ), rest AS (
+          SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) AS text
+          FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text,
+          coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed_spans
+        FROM documents d LEFT JOIN rest r USING (doc_id) LEFT JOIN spans USING (doc_id)
+    """,
     "op6_url_filter": """
         WITH parsed AS (
           SELECT page_id,
