@@ -175,9 +175,9 @@ def split_temporal(df: DataFrame, target: str | None = None, *, time: str, id_co
 
 
 def group_order(df: DataFrame, groups: str, seed: int) -> DataFrame:
-    """Distinct groups numbered in hash order: ``g``, ``__rn``, ``__n``."""
-    names = df.select(F.col(groups).alias("g")).distinct()
-    return hash_index(names, ["g"], seed)
+    """Distinct groups numbered in hash order: ``__g``, ``__rn``, ``__n``."""
+    names = df.select(F.col(groups).alias("__g")).distinct()
+    return hash_index(names, ["__g"], seed)
 
 
 def split_group(df: DataFrame, target: str | None = None, *, groups: str, seed: int = 42, ratio=RATIO) -> Split:
@@ -190,8 +190,8 @@ def split_group(df: DataFrame, target: str | None = None, *, groups: str, seed:
     roles = group_order(df, groups, seed)
     if roles.limit(3).count() < 3:
         raise DataError("a group split needs at least 3 groups")
-    roles = roles.select("g", _role(F.col("__rn"), F.col("__n"), ratio, 1).alias(ROLE))
-    return Split(df.join(roles, df[groups] == roles["g"]).drop("g"), target, None, seed, [])
+    roles = roles.select("__g", _role(F.col("__rn"), F.col("__n"), ratio, 1).alias(ROLE))
+    return Split(df.join(roles, df[groups] == roles["__g"]).drop("__g"), target, None, seed, [])
 
 
 def _dev(s) -> DataFrame:
@@ -276,8 +276,8 @@ def cv_group(s, *, groups: str, folds: int = 5, seed: int = 42, target: str | No
             raise ConfigError("stratify needs a target")
         placed = _stratified_groups(df, groups, target, folds, seed)
     else:
-        placed = group_order(df, groups, seed).select("g", ((F.col("__rn") - 1) % folds).cast("int").alias(FOLD))
-    return Folds(df.join(placed, df[groups] == placed["g"]).drop("g"), folds, target)
+        placed = group_order(df, groups, seed).select("__g", ((F.col("__rn") - 1) % folds).cast("int").alias(FOLD))
+    return Folds(df.join(placed, df[groups] == placed["__g"]).drop("__g"), folds, target)
 
 
 def _stratified_groups(df: DataFrame, groups: str, target: str, folds: int, seed: int) -> DataFrame:
@@ -285,14 +285,14 @@ def _stratified_groups(df: DataFrame, groups: str, target: str, folds: int, seed
 
     The greedy order is serial, so the (group, class) counts come to the driver; their number is checked.
     """
-    counts = df.groupBy(F.col(groups).alias("g"), F.col(target).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.withColumn("h", hash_key(["g"], seed)).limit(1_000_001).collect()
+    counts = df.groupBy(F.col(groups).alias("__g"), F.col(target).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.withColumn("h", hash_key(["__g"], seed)).limit(1_000_001).collect()
     if len(rows) > 1_000_000:
         raise DataError("too many groups to stratify greedily; use stratify=False")
     classes = sorted({r["y"] for r in rows}, key=str)
     table: dict = {}
     for r in rows:
-        table.setdefault((r["h"], r["g"]), dict.fromkeys(classes, 0))[r["y"]] = r["n"]
+        table.setdefault((r["h"], r["__g"]), dict.fromkeys(classes, 0))[r["y"]] = r["n"]
     total = {c: sum(t[c] for t in table.values()) for c in classes}
     load = [dict.fromkeys(classes, 0) for _ in range(folds)]
     placed = []
@@ -305,7 +305,7 @@ def _stratified_groups(df: DataFrame, groups: str, target: str, folds: int, seed
             load[best][c] += own[c]
         placed.append((g, best))
     kind = df.schema[groups].dataType.simpleString()
-    return df.sparkSession.createDataFrame(placed, f"g {kind}, {FOLD} int")
+    return df.sparkSession.createDataFrame(placed, f"__g {kind}, {FOLD} int")
 
 
 def pcg_shuffle(n: int, seed: int) -> list[int]:
