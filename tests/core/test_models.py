@@ -41,7 +41,7 @@ def test_naive_bayes_and_knn_by_hand(rows):
     assert (got.prediction == np.where(p > 0.5, "yes", "no")).all()
     k = M.fit(rows, "y", "knn", features=["x", "z"], k=1, block=50)
     assert k.predict(rows).where("prediction <> y").count() == 0
-    r = M.fit(rows, "v", "knn", features=["x", "z"], k=3, weights="distance", task="regression", block=64)
+    r = M.fit(rows, "v", "knn", features=["x", "z"], k=3, weighting="distance", task="regression", block=64)
     assert W.bundle(r, rows)["r2"] > 0.999
 
 

@@ -179,8 +179,8 @@ class Knn:
     keeps its ``k`` closest of each, which are then merged. Training rows travel as blocks of ``block`` rows, not to the driver.
     """
 
-    def __init__(self, rows: DataFrame, k_classes: int, k: int = 5, weights: str = "uniform", block: int = 4096):
-        self.rows, self.classes, self.k, self.weighting, self.block = rows, k_classes, int(k), weights, block
+    def __init__(self, rows: DataFrame, k_classes: int, k: int = 5, weighting: str = "uniform", block: int = 4096):
+        self.rows, self.classes, self.k, self.weighting, self.block = rows, k_classes, int(k), weighting, block
 
     def score(self, df: DataFrame, features: list[str]) -> DataFrame:
         k, classes, by_distance = self.k, self.classes, self.weighting == "distance"

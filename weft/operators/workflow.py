@@ -362,9 +362,7 @@ class Stack:
         return out
 
     def predict(self, df: DataFrame) -> DataFrame:
-        rows = self.features(self.bases, df, self.id_cols)
-        if self.passthrough:
-            rows = rows.join(df, self.id_cols)
+        rows = self.features(self.bases, df, self.id_cols).join(df, self.id_cols)
         ready, model = self.meta
         return model.predict(ready(rows))
 
