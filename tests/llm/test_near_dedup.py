@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 
 from weft.llm import near_dedup
 from weft.llm.near_dedup import bands_for, closest, components, drop_near_duplicates, fold, may_link, near_components, odd_sketch, shingle_set, similar
@@ -114,10 +113,14 @@ def test_band_number_and_components(spark):
     assert (1 - 0.85**5) ** bands_for(0.85) <= 1e-7
     edges = [(k, k + 1) for k in range(20)] + [(50, 51), (52, 51)]
     rows = components(spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")).collect()
-    assert {r.node[0]: r.root[0] for r in rows} == {k: 0 for k in range(21)} | {50: 50, 51: 50, 52: 50}
+    want = {k: 0 for k in range(21)} | {50: 50, 51: 50, 52: 50}
+    assert {r.node[0]: r.root[0] for r in rows} == want
+    frame = lambda e: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in e], "a binary, b binary")
+    labels = components(frame(edges[::2]))
+    rows = components(frame([*edges[1::2], (70, 60), (60, 5)]), labels).collect()
+    assert {r.node[0]: r.root[0] for r in rows} == want | {60: 0, 70: 0}
 
 
 def test_short_sequences():
     assert shingle_set("a b", 3).size == 1 and (shingle_set("A  B", 3) == shingle_set("a b", 3)).all()
-    nothing = pd.DataFrame(columns=["node", "n", "sketch", "comp", "no"])
-    assert closest(nothing, nothing, 0.8, 1) == []
+    assert closest([], [], 0.8, 1) == []

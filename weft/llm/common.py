@@ -36,7 +36,10 @@ def cut(df: DataFrame) -> DataFrame:
     A lost executor then costs a re-read, not a recomputation, and iterative plans stay short.
     """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Python objects that are gone still hold plans in the driver until they are collected.
+    gc.collect()
+    return out
 
 
 def release(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@
    confirmed on the full sets, and confirmed links give first components.
 3. What is left are band values whose nodes lie in several components. Their nodes (split by size class, since sets that differ by
    more than the threshold in size can't be linked, and into blocks if there are many) are compared by sketch, and each node's closest
-   partners in other components are confirmed: one at first, then more in each round. This repeats with the components merged, without
+   partners in other components are confirmed: a few at first, then more in each round. This repeats with the components merged, without
    the pairs that were refused, until no pair is left. So no link between two components is lost, all pairs of a group are never emitted, and a group of
    copies that a third of all documents belong to is settled by its star.
 
@@ -201,8 +201,8 @@ def _by_sketch(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(judge, "a binary, b binary, est double")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with boolean ``linked``, on full sets. ``texts``: node, text.
+def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with boolean ``linked``, on full sets. ``heads``: node, id, hash; ``docs``: __id, __hash, text.
 
     The texts of a center's partners stream past it: each task holds one center's set at a time, and a center with
     many partners is copied to several tasks.
@@ -210,6 +210,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     keyed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     centers = keyed.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("part"), F.col("a").alias("node"))
     roles = centers.unionByName(keyed.select("a", "salt", F.lit(1).alias("part"), F.col("b").alias("node")))
+    # Only the nodes in question go against the texts, so just theirs move on.
+    asked = heads.join(roles.select("node").distinct(), "node", "left_semi")
+    texts = asked.join(docs, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("node", "text")
     stream = roles.join(texts, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "part")
 
     def run(batches):
@@ -231,24 +234,35 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return stream.select("a", "part", "node", "text").mapInPandas(run, "a binary, b binary, linked boolean")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Smallest node reachable over ``edges`` (a, b), for every node that has one: node, root.
 
-    Each round, every node takes the smallest label among its neighbours' and its own, then its label's label. Rounds
-    end when no label changes; their number grows with the logarithm of a component's depth on such star-like links.
+    ``labels`` of earlier edges shorten the work: the new edges then link their roots. Each round, every node takes the
+    smallest label among its neighbours' and its own, then twice its label's label. Rounds end when no
+    label changes; their number grows with the logarithm of a component's depth on such star-like links.
     """
+    if labels is not None:
+        root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
+        linked = edges.join(labels.toDF("a", "a_root"), "a", "left").join(labels.toDF("b", "b_root"), "b", "left")
+        above = components(linked.select(root("a"), root("b")).where("a != b")).toDF("root", "top")
+        moved = labels.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        # Nodes that only the new edges have, and roots that now lie below another.
+        new = above.select(F.col("root").alias("node"), F.col("top").alias("root")).join(labels, "node", "left_anti")
+        return cut(moved.unionByName(new))
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+    found = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
+
+    def jump(t: DataFrame) -> DataFrame:
+        up = t.select(F.col("node").alias("new"), F.col("new").alias("up"))
+        return t.join(up, "new", "left").select("node", "root", F.least("new", "up").alias("new"))
+
     while True:
-        near = both.join(labels.toDF("b", "near"), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        new = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        # A label is a node too: take its own new label.
-        up = new.select(F.col("node").alias("low"), F.col("low").alias("up"))
-        new = cut(new.join(up, "low", "left").select("node", "root", F.least("low", "up").alias("new")))
-        changed = not new.where("new != root").isEmpty()
-        labels = new.select("node", F.col("new").alias("root"))
-        if not changed:
-            return labels
+        near = both.join(found.toDF("b", "near"), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        new = found.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        new = cut(jump(jump(new)))
+        found = new.select("node", F.col("new").alias("root"))
+        if new.where("new != root").isEmpty():
+            return found
 
 
 def _left(shared: DataFrame, labels: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
@@ -284,36 +298,66 @@ def _blocks(left: DataFrame, sketches: DataFrame, refused: DataFrame, threshold:
     against = refused.select("a", "b").union(refused.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("no"))
     placed = placed.join(sketches, "node").join(against, "node", "left")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        one = group[group["own"] == i]
-        two = one if i == j else group[group["own"] == j]
-        return pd.DataFrame(closest(one, two, threshold, most), columns=["a", "b"])
-
-    return placed.groupBy("key", "class", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
+    def run(batches):
+        """Blocks lie one after another; one is held at a time, as plain lists."""
+        held: tuple | None = None
+        rows: list[tuple] = []
 
+        def pairs():
+            i, j = held[2:]
+            one = [r for r in rows if r[0] == i]
+            return closest(one, one if i == j else [r for r in rows if r[0] == j], threshold, most)
 
-def closest(one: pd.DataFrame, two: pd.DataFrame, threshold: float, most: int) -> list[tuple[bytes, bytes]]:
-    """Pairs (smaller first) of each node of ``one`` with its ``most`` closest possible partners in ``two``."""
-    if not len(one) or not len(two):
+        for batch in batches:
+            out: list[tuple] = []
+            for key, size, i, j, *row in batch.itertuples(index=False, name=None):
+                if (key, size, i, j) != held:
+                    if rows:
+                        out += pairs()
+                    held, rows = (key, size, i, j), []
+                rows.append(tuple(row))
+            yield pd.DataFrame(out, columns=["a", "b"])
+        if rows:
+            yield pd.DataFrame(pairs(), columns=["a", "b"])
+
+    at = ["key", "class", "i", "j"]
+    blocks = placed.repartition(*at).sortWithinPartitions(*at).select(*at, "own", "node", "comp", "n", "sketch", "no")
+    return blocks.mapInPandas(run, "a binary, b binary").distinct()
+
+
+def closest(one: list[tuple], two: list[tuple], threshold: float, most: int) -> list[tuple[bytes, bytes]]:
+    """Pairs (smaller first) of each node of ``one`` with its ``most`` closest possible partners in ``two``.
+
+    A node is ``(block, node, component, n, sketch, refused partners or None)``.
+    """
+    if not one or not two:
         return []
-    nodes, sizes, sketches = two["node"].tolist(), two["n"].to_numpy(), two["sketch"].tolist()
-    ids = {c: k for k, c in enumerate(dict.fromkeys([*two["comp"], *one["comp"]]))}
-    codes = np.array([ids[c] for c in two["comp"]])
+    nodes, comps, sketches = ([r[k] for r in two] for k in (1, 2, 4))
+    sizes = np.array([r[3] for r in two])
+    ids = {c: k for k, c in enumerate(dict.fromkeys([*comps, *(r[2] for r in one)]))}
+    codes = np.array([ids[c] for c in comps])
     lengths = np.array([len(s) for s in sketches])
+    kinds = sorted(set(lengths.tolist()))
+    places = {length: np.flatnonzero(lengths == length) for length in kinds}
     folded: dict[tuple[int, int], np.ndarray] = {}
     found = set()
-    for a, comp, n, sketch, no in zip(one["node"], one["comp"], one["n"], one["sketch"], one["no"], strict=True):
+    for _, a, comp, n, sketch, no in one:
         no = set(no) if no is not None else ()
         hits: list[tuple[float, bytes]] = []
-        for length in np.unique(lengths).tolist():
-            here = np.flatnonzero(lengths == length)
+        for length in kinds:
+            here = places[length]
+            # Sets of another component whose size allows a link.
+            here = here[(codes[here] != ids[comp]) & (np.minimum(sizes[here], n) >= threshold * np.maximum(sizes[here], n) - 1e-6)]
+            if not len(here):
+                continue
             size = min(length, len(sketch))
             if (length, size) not in folded:
-                folded[length, size] = np.array([fold(sketches[k], size) for k in here])
-            counts = np.bitwise_count(folded[length, size] ^ fold(sketch, size)).sum(axis=1)
+                table = np.zeros((len(two), size // 8), np.uint64)
+                for k in places[length]:
+                    table[k] = fold(sketches[k], size)
+                folded[length, size] = table
+            counts = np.bitwise_count(folded[length, size][here] ^ fold(sketch, size)).sum(axis=1)
             ok, est = may_link(counts, 8 * size, sizes[here] + n, threshold)
-            ok &= (codes[here] != ids[comp]) & (np.minimum(sizes[here], n) >= threshold * np.maximum(sizes[here], n) - 1e-6)
             hits += [(e, nodes[k]) for k, e in zip(here[ok].tolist(), est[ok].tolist(), strict=True) if nodes[k] not in no]
         for _, b in sorted(hits, reverse=True)[:most]:
             found.add((a, b) if a < b else (b, a))
@@ -335,24 +379,24 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only band values that several nodes have; a value may be a third of all nodes', so its rows are spread.
     shared = cut(salted_join(keys, centers, ["key"], F.col("node"), 4).where("center is not null"))
     own = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
-    texts = heads.join(own, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("node", "text")
 
     star = shared.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     pairs = _by_sketch(star, nodes, threshold).groupBy("b").agg(F.max(F.struct("est", "a")).alias("x")).select("x.a", "b")
     sizes = nodes.select(F.col("__node").alias("node"), F.col("__n").alias("n"))
     sketches = nodes.select(F.col("__node").alias("node"), F.col("__sketch").alias("sketch"))
-    most, judged = 1, None
+    most, refused, labels = 4, None, None
     while True:
-        now = cut(_confirm(pairs, texts, width, percent))
-        judged = now if judged is None else judged.union(now)
-        labels = components(judged.where("linked"))
+        judged = cut(_confirm(pairs, heads, own, width, percent))
+        no = judged.where("not linked")
+        refused = no if refused is None else refused.union(no)
+        labels = components(judged.where("linked"), labels)
         left = _left(shared, labels, sizes, threshold)
-        pairs = cut(_blocks(left, sketches, judged.where("not linked"), threshold, most))
+        pairs = cut(_blocks(left, sketches, refused, threshold, most))
         release(docs.sparkSession)
         if pairs.isEmpty():
             break
         # Where the closest partners were refused, further ones follow in growing numbers.
-        most *= 4
+        most *= 16
     roots = labels.join(heads, "node").groupBy("root").agg(F.min("id").alias("component"))
     named = labels.join(roots, "root").select("node", "component")
     of_node = (
