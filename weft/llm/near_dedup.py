@@ -40,6 +40,8 @@ CACHE_WORDS = 300_000
 BLOCK = 1024
 #: Pairs whose estimate lies more than so many standard deviations below the threshold aren't confirmed.
 SIGMAS = 5
+#: Up to so many nodes of a round go to every task, so the documents needn't be shuffled; more of them are joined.
+FEW_NODES = 1 << 17
 #: Center copies for streams of confirmations.
 SALTS = 8
 
@@ -201,7 +203,7 @@ def _by_sketch(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(judge, "a binary, b binary, est double")
 
 
-def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, percent: int, few: bool = False) -> DataFrame:
     """``pairs`` (a, b) with boolean ``linked``, on full sets. ``heads``: node, id, hash; ``docs``: __id, __hash, text.
 
     The texts of a center's partners stream past it: each task holds one center's set at a time, and a center with
@@ -211,7 +213,8 @@ def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, pe
     centers = keyed.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("part"), F.col("a").alias("node"))
     roles = centers.unionByName(keyed.select("a", "salt", F.lit(1).alias("part"), F.col("b").alias("node")))
     # Only the nodes in question go against the texts, so just theirs move on.
-    asked = heads.join(roles.select("node").distinct(), "node", "left_semi")
+    asked = heads.join(roles.select("node").distinct(), "node", "left_semi").select("node", "id", "hash")
+    asked = F.broadcast(asked) if few else asked
     texts = asked.join(docs, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("node", "text")
     stream = roles.join(texts, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "part")
 
@@ -384,17 +387,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = _by_sketch(star, nodes, threshold).groupBy("b").agg(F.max(F.struct("est", "a")).alias("x")).select("x.a", "b")
     sizes = nodes.select(F.col("__node").alias("node"), F.col("__n").alias("n"))
     sketches = nodes.select(F.col("__node").alias("node"), F.col("__sketch").alias("sketch"))
-    most, refused, labels = 4, None, None
+    most, refused, labels, few = 4, None, None, False
     while True:
-        judged = cut(_confirm(pairs, heads, own, width, percent))
+        judged = cut(_confirm(pairs, heads, own, width, percent, few))
         no = judged.where("not linked")
         refused = no if refused is None else refused.union(no)
         labels = components(judged.where("linked"), labels)
         left = _left(shared, labels, sizes, threshold)
         pairs = cut(_blocks(left, sketches, refused, threshold, most))
         release(docs.sparkSession)
-        if pairs.isEmpty():
+        left_over = pairs.count()
+        if not left_over:
             break
+        few = 2 * left_over <= FEW_NODES
         # Where the closest partners were refused, further ones follow in growing numbers.
         most *= 16
     roots = labels.join(heads, "node").groupBy("root").agg(F.min("id").alias("component"))
