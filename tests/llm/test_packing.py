@@ -100,3 +100,20 @@ def test_pack_documents(spark):
         by[r.sequence_id] += r.length
     assert all(v == 2048 or v & (v - 1) == 0 for v in by.values())
     assert pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_memories_are_shared():
+    from weft.llm import common
+    from weft.llm.near_dedup import _words
+
+    tokens = WordTokens(PATH)
+    common.take_memory(_words)
+    _ = _words[b"a"]
+    common.take_memory(tokens)
+    assert not _words
+    tokens.encode("some words")
+    common.take_memory(_words)
+    assert not tokens and not tokens.pieces
+    del tokens
+    common.take_memory(_words)
+    assert len(common._memories) <= 3

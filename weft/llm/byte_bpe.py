@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import take_memory
+
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: Distinct pre-tokens that a worker remembers; the memory starts anew beyond it.
@@ -172,12 +174,13 @@ def encode_documents(
     def pre_tokenise(batches):
         """Each chunk's boundaries, and the ids of its pre-tokens with their counts, in order."""
         coder = codec(vocabulary, pattern)
-        for b in batches:
-            ends, counts, ids = [], [], []
-            for s, t in zip(b["start"], b["chunk"], strict=True):
-                for out, x in zip((ends, counts, ids), coder.pre_tokens(t, int(s)), strict=True):
-                    out.append(x)
-            yield b.assign(ends=ends, counts=counts, ids=ids)
+        take_memory(coder.memory)
+        for batch in batches:
+            # Lists of boundaries are much larger than the chunks, so a few go at a time.
+            for at in range(0, len(batch), 64):
+                b = batch.iloc[at : at + 64]
+                found = [coder.pre_tokens(t, int(s)) for s, t in zip(b["start"], b["chunk"], strict=True)]
+                yield b.assign(ends=[f[0] for f in found], counts=[f[1] for f in found], ids=[f[2] for f in found])
 
     def join_chunks(group: pd.DataFrame) -> pd.DataFrame:
         coder = codec(vocabulary, pattern)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_memories: list = []
+
+
+def take_memory(memory) -> None:
+    """In a Python worker: ``memory`` (anything with ``clear``) may fill up now, so forget what other operators remember.
+
+    Workers are reused from stage to stage; without this, the memories of all stages would add up.
+    """
+    held = [m for m in (r() for r in _memories) if m is not None and m is not memory]
+    for m in held:
+        m.clear()
+    _memories[:] = [weakref.ref(m) for m in (*held, memory)]
+
+
 def crc32_of(c: Column) -> Column:
     """crc32 of a value's decimal text, as the public CRC-32 of its UTF-8 bytes."""
     return F.crc32(c.cast("string").cast("binary"))

@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, take_memory
 
 SAMPLE_ROWS = 3_000
 N = 3
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, langs array<string>, shares array<double>"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,9 +43,9 @@ class Profile:
 
     def __init__(self, langs: list[str], index: dict[str, int], rows: np.ndarray):
         self.langs, self.index, self.rows = langs, index, rows
-        self._forget()
+        self.clear()
 
-    def _forget(self):
+    def clear(self):
         self.known: dict[str, int] = {}
         self.logs = np.zeros((1024, len(self.langs)))
 
@@ -54,14 +54,14 @@ class Profile:
 
     def __setstate__(self, state):
         self.langs, self.index, self.rows = state
-        self._forget()
+        self.clear()
 
     def words(self, words) -> np.ndarray:
         """Log-likelihoods, words by languages: the sum over a word's n-grams. Words are remembered up to a bound."""
         new = [w for w in words if w not in self.known]
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
-                self._forget()
+                self.clear()
                 new = list(words)
             parts = [grams(w) for w in new]
             lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -179,6 +179,8 @@ def predicted(profile: Profile | None, text: Column) -> Column:
 
     @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
+        if profile is not None:
+            take_memory(profile)
         return pd.DataFrame([predict(t, profile) for t in texts], columns=["lang_pred", "score", "langs", "shares"])
 
     return run(text)

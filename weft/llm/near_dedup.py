@@ -30,12 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, salted_join
+from .common import cut, release, salted_join, take_memory
 
 ROWS = 5
 MISS = 1e-7
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Nodes of one band value and size class that are compared at once.
 BLOCK = 1024
 #: Pairs whose estimate lies more than so many standard deviations below the threshold aren't confirmed.
@@ -169,6 +169,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        take_memory(_words)
         for b in batches:
             out = []
             for i, h, t in zip(b["__id"], b["__hash"], b["__text"], strict=True):
@@ -219,6 +220,7 @@ def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, pe
     stream = roles.join(texts, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "part")
 
     def run(batches):
+        take_memory(_words)
         held = None
         for batch in batches:
             out = []

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import take_memory
+
 WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 400_000
@@ -135,9 +137,13 @@ class WordTokens(dict):
         self[word] = ids
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.pieces.clear()
+
     def encode(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
-            self.clear()
+            super().clear()
         if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
         if self.ODD.search(text):
@@ -263,6 +269,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches):
         tokens, packer = word_tokens(tokenizer), Packer(window)
+        take_memory(tokens)
         for b in batches:
             yield frame([r for doc, text in zip(b["__id"], b["__text"], strict=True) for r in packer.add(doc, tokens.encode(text) + end)])
         yield frame(list(packer.close()))
