@@ -1,0 +1,67 @@
+import re
+
+from tests.llm.test_substring_dedup import LONG
+from weft.llm.passage_dedup import passage_dedup
+
+PASSAGE = " ".join(f"p{k}" for k in range(54))
+VERSE = "\n".join(" ".join(f"v{k}x{i}" for i in range(9)) for k in range(7))
+own = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+DATA = [
+    (1, f"{own('a', 90)} {PASSAGE} {own('b', 30)}"), (2, f"{own('c', 40)}\n{own('d', 5)} {PASSAGE.upper()}\n{own('e', 70)}"),
+    (3, f"top\n{VERSE}\nend {own('f', 60)}"), (4, f"{own('g', 60)}\n{VERSE}\nlast"), (5, VERSE.replace("\n", " ")),
+    (6, f"{LONG}\nshort"), (7, f"é {own('h', 20)}\n{LONG}\nshort tail"), (8, "x " * 300), (9, None), (10, ""), (11, " ".join(PASSAGE.split()[:49])),
+    (12, own("a b ", 3)), (None, f"{PASSAGE} q"), (13, f"{own('i', 60)}\n{own('j', 60)}"), (13, f"{own('j', 60)}"), (13, f"{own('j', 60)}"),
+]
+
+
+def brute(data, width=50, least=20):
+    """For each row the words that stay, by comparing every window and line."""
+    docs, first = [], {}
+    for d, t in data:
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        words = [re.sub("[A-Z]", lambda m: m.group().lower(), t[a:b]) for a, b in places]
+        units, at = [(k, k + width) for k in range(len(words) - width + 1)], 0
+        for line in (t or "").split("\n"):
+            within = [k for k, (a, _) in enumerate(places) if at <= a < at + len(line) + 1]
+            if len(within) >= least:
+                units.append((within[0], within[-1] + 1))
+                # A line counts as itself, not as a window.
+                units[-1] += ("line", at)
+            at += len(line) + 1
+        docs.append((d, t, words, [(u[:2], (tuple(words[u[0] : u[1]]), *u[2:3]), u[3] if u[2:] else places[u[0]][0]) for u in units]))
+    for n, (d, t, _, units) in enumerate(docs):
+        for (a, _), key, start in units:
+            mine = ((d is None, d or 0), start, a, t)
+            if key not in first or mine[:2] < first[key][:2]:
+                first[key] = mine
+    out = []
+    for d, t, words, units in docs:
+        gone = set()
+        for (a, b), key, start in units:
+            rank, s, w, text = first[key]
+            if (rank, s) != ((d is None, d or 0), start):
+                gone |= set(range(max(a, w + width) if text == t and rank == (d is None, d or 0) and len(key) == 1 else a, b))
+        out.append((str(d), None if t is None else [w for k, w in enumerate(words) if k not in gone], bool(gone)))
+    return sorted(out, key=str)
+
+
+def left(rows):
+    return sorted(((str(r.doc_id), None if r.text is None else [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text)], r.n_removed > 0) for r in rows), key=str)
+
+
+def test_equals_brute_force(spark):
+    rows = passage_dedup(spark.createDataFrame(DATA, "doc_id long, text string")).collect()
+    assert left(rows) == brute(DATA)
+    text = {r.doc_id: r for r in rows if r.doc_id != 13}
+    # Set mid-line in unlike documents; laid out in short lines; a line and the short one behind it.
+    assert text[2].text == f"{own('c', 40)}\n{own('d', 5)}\n{own('e', 70)}" and text[None].text == "q"
+    assert text[4].text == f"{own('g', 60)}\nlast" and text[5].text == ""
+    assert text[7].text == f"é {own('h', 20)}\ntail" and text[8].text.split() == ["x"] * 50 and text[11].n_removed == 0
+    start = text[2].removed_spans.split(",")
+    assert DATA[1][1][int(start[0]) : int(start[1])] == PASSAGE.upper() and start[2:] == ["1", str(len(own("a", 90)) + 1)]
+    assert passage_dedup(spark.createDataFrame(DATA[:0], "doc_id long, text string")).count() == 0
+
+
+def test_shared_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert left(passage_dedup(docs).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()])

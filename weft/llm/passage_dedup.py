@@ -1,0 +1,204 @@
+"""Repeated passages wherever they stand: word windows at every position, beside the lines of ``substring_dedup``.
+
+Units are the lines of ``substring_dedup`` and every window of ``WIDTH`` words, over line breaks too, so a passage inside otherwise
+different lines, or laid out in short lines, is found. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Of equal units the
+first (by doc_id, then offset) stays; the words that any other covers go. Windows are 128 bits over 64-bit word hashes.
+
+Not all windows are shuffled. The anchor of a window is the smallest hash of its ``GRAM``-word grams; equal windows have equal
+anchors, and neighbours mostly share one, so an anchor is a row every 18 words or so. Only windows whose anchor stands at two
+places are compared. A window inside one line that the line rule removes is left out: it is never the first,
+and its words go anyway. So nothing that repeats is missed.
+
+A window that overlaps its own first occurrence (``x x x ..``) gives up only the words behind that. A null text stays null, and
+null doc_ids rank last. Rows that repeat a doc_id are separate documents of one rank: the same place never removes itself.
+An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import cut, fresh_path, take_memory
+from .near_dedup import _LOWER, _M1, _words, CACHE_WORDS, mix
+from .substring_dedup import MIN_WORDS, repeated_spans
+
+WIDTH = 50
+GRAM = 16
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def word_lines(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words, and for each the offset of its line and the number of its line's last word plus one."""
+    words, starts, counts, at = [], [], [], 0
+    for line in text.split("\n"):
+        found = line.encode().translate(_LOWER).split()
+        words += found
+        starts.append(at)
+        counts.append(len(found))
+        at += len(line) + 1
+    return words, np.repeat(starts, counts), np.repeat(np.cumsum(counts), counts)
+
+
+def windows_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all grams their hashes, and of all windows two hashes and the anchor."""
+    n = len(words) - WIDTH + 1
+    if n < 1:
+        return (np.zeros(0, np.uint64),) * 4
+    if len(_words) > CACHE_WORDS:
+        _words.clear()
+    codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+    def hashes(level, factor):
+        """Grams by doubling; a window is one of 32, one of 16 and one of 2."""
+        by = {1: level}
+        for k in (1, 2, 4, 8, 16):
+            by[2 * k] = mix(by[k][: len(by[k]) - k] * factor + by[k][k:])
+        return by[GRAM], mix(mix(by[32][:n] * factor + by[16][32 : 32 + n]) * factor + by[2][48 : 48 + n])
+
+    grams, one = hashes(codes, _M1)
+    two = hashes(mix(codes ^ _M1), _M1 ^ np.uint64(0xD6E8FEB86659FD92))[1]
+    # The smallest of WIDTH - GRAM + 1 = 35 grams: of 32, and of the last 32.
+    low = grams
+    for k in (1, 2, 4, 8, 16):
+        low = np.minimum(low[: len(low) - k], low[k:])
+    return grams, one, two, np.minimum(low[:n], low[3 : 3 + n])
+
+
+def inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Of each window, the offset of the line it lies in, or -1."""
+    return np.where(ends[:n] >= np.arange(n) + WIDTH, starts[:n], -1)
+
+
+def anchors_of(text: str) -> list[tuple[int, int, int]]:
+    """Line (or -1), anchor and at how many places it stands, of the windows of a text."""
+    words, starts, ends = word_lines(text)
+    grams, _, _, low = windows_of(words)
+    if not len(low):
+        return []
+    line = inside(starts, ends, len(low))
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (line[1:] != line[:-1])])
+    pairs = np.unique(np.stack([line[new], low[new].view(np.int64)], axis=1), axis=0)
+    found, counts = np.unique(grams.view(np.int64), return_counts=True)
+    return [(a, b, c) for (a, b), c in zip(pairs.tolist(), counts[np.searchsorted(found, pairs[:, 1])].tolist(), strict=True)]
+
+
+def cut_words(text: str, lines: list[tuple], windows: list[tuple]) -> tuple[str, int, str]:
+    """The text without ``lines`` (start, end, keep) and ``windows`` (word, first word that goes, keep); number and list of what went."""
+    places = [m.span() for m in WORD.finditer(text)]
+    begins = np.array([a for a, _ in places])
+    found = [(*np.searchsorted(begins, [a, b]).tolist(), keep) for a, b, keep in lines] + [(since, at + WIDTH, keep) for at, since, keep in windows]
+    runs: list[list] = []
+    for a, b, keep in sorted(found):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b, keep])
+    kept, removed, at = [], [], 0
+    for a, b, keep in runs:
+        before = places[a - 1][1] if a else 0
+        if b < len(places) and (not a or "\n" in text[before : places[a][0]]):
+            # From a line's first word on: up to the next word.
+            begin, end = places[a][0], places[b][0]
+        else:
+            begin, end = before, places[b - 1][1]
+        kept.append(text[at:begin])
+        at = end
+        removed.append(f"{places[a][0]},{places[b - 1][1]},{keep}")
+    return "".join(kept) + text[at:], len(runs), ";".join(removed)
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as columns, which take less than a checkpoint's rows."""
+    path = fresh_path(df.sparkSession, "passages")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _repeated_windows(rows: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
+    """Windows to remove, a row a document: __id, __key, windows (word, first word that goes, keep)."""
+
+    def anchors(batches):
+        take_memory(_words)
+        for b in batches:
+            out = [(i, k, *x) for i, k, t in zip(b["__id"], b["__key"], b["__text"], strict=True) for x in anchors_of(t)]
+            yield pd.DataFrame(out, columns=["__id", "__key", "line", "anchor", "n"])
+
+    def windows(batches):
+        take_memory(_words)
+        for b in batches:
+            parts = []
+            for i, k, t, asked, gone in zip(b["__id"], b["__key"], b["__text"], b["asked"], b["gone"], strict=True):
+                words, starts, ends = word_lines(t)
+                _, one, two, low = windows_of(words)
+                open_ = np.isin(low.view(np.int64), asked)
+                if gone is not None:
+                    open_ &= ~np.isin(inside(starts, ends, len(low)), gone)
+                at = np.flatnonzero(open_)
+                begins = np.array([m.start() for m in WORD.finditer(t)], np.int64)
+                parts.append(pd.DataFrame({"__id": i, "__key": k, "word": at, "start": begins[at], "one": one[at].view(np.int64), "two": two[at].view(np.int64)}))
+            if parts:
+                yield pd.concat(parts).astype({"__id": object})
+
+    same = lambda a, b: a["__id"].eqNullSafe(b["i"]) & (a["__key"] == b["k"])
+    gone = lines.select(F.col("__id").alias("i"), F.col("__key").alias("k"), F.col("spans.start").alias("gone"))
+    # Ids go through Python as text, since pandas would turn a column with nulls into floats.
+    texts = rows.where("__text is not null").select(F.col("__id").cast("string").alias("__id"), "__key", "__text")
+    stand = texts.mapInPandas(anchors, "__id string, __key long, line int, anchor long, n int").withColumn("__id", F.col("__id").cast(kind))
+    stand = _saved(stand)
+    several = lambda t: t.groupBy("anchor").agg(F.sum("n").alias("m")).where("m > 1").select("anchor")
+    each = gone.select("i", "k", F.explode("gone").alias("s"))
+    found = stand.join(several(stand), "anchor", "left_semi")
+    found = _saved(found.join(each, same(found, each) & (found["line"] == each["s"]), "left_anti"))
+    asked = found.join(several(found), "anchor", "left_semi").groupBy(F.col("__id").alias("i"), F.col("__key").alias("k")).agg(F.collect_set("anchor").alias("asked"))
+    asked = asked.join(gone.toDF("gi", "gk", "gone"), F.col("i").eqNullSafe(F.col("gi")) & (F.col("k") == F.col("gk")), "left").select("i", "k", "asked", "gone")
+    open_texts = rows.join(asked, same(rows, asked)).select(F.col("__id").cast("string").alias("__id"), "__key", "__text", "asked", "gone")
+    at = open_texts.mapInPandas(windows, "__id string, __key long, word int, start int, one long, two long")
+    at = at.withColumn("__id", F.col("__id").cast(kind))
+    # One shuffle of the windows; those of a hot key stream through its task.
+    of = Window.partitionBy("one", "two").orderBy(F.col("__id").asc_nulls_last(), "start", "__key").rowsBetween(Window.unboundedPreceding, 0)
+    later = at.withColumn("first", F.first(F.struct("__id", "start", "__key", "word")).over(of))
+    own = F.col("first.__id").eqNullSafe(F.col("__id"))
+    later = later.where(~(own & (F.col("first.start") == F.col("start"))))
+    since = F.when(own & (F.col("first.__key") == F.col("__key")), F.greatest("word", F.col("first.word") + WIDTH)).otherwise(F.col("word"))
+    keep = F.concat_ws(",", F.coalesce(F.col("first.__id").cast("string"), F.lit("null")), F.col("first.start").cast("string"))
+    # A document's windows are no more than its words.
+    return later.groupBy("__id", "__key").agg(F.collect_set(F.struct("word", since.alias("since"), keep.alias("keep"))).alias("windows"))
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each row of ``docs``: id, the text that is left, how many stretches went, and which.
+
+    ``removed_spans`` lists ``start,end,keep_id,keep_start`` (original offsets in code points; of a stretch that several units cover, what
+    its first unit repeats), separated by semicolons.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
+    lines = cut(repeated_spans(docs, id_col, text_col, min_words))
+    keep = lambda s: F.concat_ws(",", F.coalesce(s["keep_id"].cast("string"), F.lit("null")), s["keep_start"].cast("string"))
+    short = lines.select("__id", "__key", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), keep(s).alias("keep"))).alias("lines"))
+    both = short.unionByName(_repeated_windows(rows, lines, kind), allowMissingColumns=True).groupBy(F.col("__id").alias("i"), F.col("__key").alias("k"))
+    both = both.agg(F.first("lines", True).alias("lines"), F.first("windows", True).alias("windows"))
+
+    @F.pandas_udf("text string, n long, spans string")
+    def without(texts: pd.Series, starts: pd.Series, ends: pd.Series, kept: pd.Series, words: pd.Series, since: pd.Series, first: pd.Series) -> pd.DataFrame:
+        triples = lambda *x: [] if x[0] is None else list(zip(*x, strict=True))
+        out = [(None, 0, "") if t is None else cut_words(t, triples(*x[:3]), triples(*x[3:])) for t, *x in zip(texts, starts, ends, kept, words, since, first, strict=True)]
+        return pd.DataFrame(out, columns=["text", "n", "spans"])
+
+    # Only texts that lose something go through Python.
+    lost = F.col("lines").isNotNull() | F.col("windows").isNotNull()
+    joined = rows.join(both, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")), "left")
+    parts = [F.col(c) for c in ("lines.start", "lines.end", "lines.keep", "windows.word", "windows.since", "windows.keep")]
+    joined = joined.select("__id", "__text", lost.alias("lost"), without(F.when(lost, F.col("__text")), *parts).alias("r"))
+    pick = lambda c, other: F.when(F.col("lost"), F.col(f"r.{c}")).otherwise(other)
+    return joined.select(
+        F.col("__id").alias(id_col),
+        pick("text", F.col("__text")).alias(text_col),
+        pick("n", F.lit(0)).cast("long").alias("n_removed"),
+        pick("spans", F.lit("")).alias("removed_spans"),
+    )

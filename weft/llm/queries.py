@@ -59,6 +59,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passage_dedup import passage_dedup
+
+    return passage_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_quality_rules, op3_near_dedup, op4_packing, op5_html_text, op6_url_filter, op7_language_id,
-        op8_substring_dedup, op9_byte_bpe, op10_exact_dedup,
+        op8_substring_dedup, op8_passage_dedup, op9_byte_bpe, op10_exact_dedup,
     )
 }
 
