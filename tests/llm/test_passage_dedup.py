@@ -65,3 +65,10 @@ def test_equals_brute_force(spark):
 def test_shared_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert left(passage_dedup(docs).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_short_lines(spark):
+    """A passage wholly in lines below 20 words goes, and a copy leaves no skeleton of its short lines."""
+    copy = f"{LONG}\nAll rights reserved.\n{VERSE}"
+    docs = spark.createDataFrame([(1, copy), (2, copy), (3, f"{own('k', 60)}\n{VERSE}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in passage_dedup(docs).collect()} == {1: copy, 2: "", 3: own("k", 60)}
