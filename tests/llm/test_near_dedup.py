@@ -124,3 +124,11 @@ def test_band_number_and_components(spark):
 def test_short_sequences():
     assert shingle_set("a b", 3).size == 1 and (shingle_set("A  B", 3) == shingle_set("a b", 3)).all()
     assert closest([], [], 0.8, 1) == []
+
+
+def test_rows_that_share_an_id(spark):
+    """Of rows with one id, or with none, only the one that is a near copy goes."""
+    words = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    data = [(1, words("a")), (None, f"{words('a')} more"), (None, words("b")), (5, f"{words('a')} end"), (5, words("c")), (7, f"{words('c')} end"), (8, None), (None, None)]
+    left = drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted((data[k] for k in (0, 2, 4, 6, 7)), key=str)

@@ -369,8 +369,8 @@ def closest(one: list[tuple], two: list[tuple], threshold: float, most: int) ->
     return list(found)
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id and kept."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, rows: int) -> DataFrame:
+    """One row for each row of ``docs``: __id, __hash (of the text), __n, component_id and kept."""
     threshold = percent / 100
     full = cut(_nodes(docs, id_col, text_col, width, bands_for(threshold, rows), rows))
     everyone = full.select("__id", "__hash", "__n", "__node")
@@ -413,14 +413,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     out = salted_join(everyone, of_node, ["__node"], F.struct("__id", "__hash"))
     component = F.when(F.col("__hit"), F.col("__component")).otherwise(F.col("__id"))
-    return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
+    return out.select("__id", "__hash", "__n", component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id and kept."""
+    verdict = _judged(docs, id_col, text_col, width, percent, rows)
+    return verdict.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; columns unchanged.
 
-    A document goes if it isn't the one that names its component; a repeated row of one that stays, stays.
+    A row goes if its id and text aren't those of the document that names its component; a repeated row of one that stays, stays.
     """
-    verdict = near_components(docs, id_col, text_col, width, percent)
-    losers = verdict.where(~F.col("kept")).select(F.col(id_col).alias("__i")).distinct()
-    return docs.join(losers, docs[id_col].eqNullSafe(losers["__i"]), "left_anti")
+    verdict = _judged(docs, id_col, text_col, width, percent, ROWS)
+    losers = verdict.where(~F.col("kept")).select(F.col("__id").alias("__i"), F.col("__hash").alias("__h")).distinct()
+    return docs.join(losers, docs[id_col].eqNullSafe(losers["__i"]) & (F.xxhash64(docs[text_col]) == losers["__h"]), "left_anti")
