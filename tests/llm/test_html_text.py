@@ -60,3 +60,12 @@ def test_undecided_pages(spark, monkeypatch):
         assert text[k] == f"{k}own text " + " ".join(f"w{k}x{i}" for i in range(20))
     assert text[50] == text[51] == shared and text[52] == "" and text[None] == "no id"
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_mirrored_pages(spark):
+    """Two copies of an unmarked page keep their text; a line that other pages have too goes."""
+    shared = "this line of ten words stands on every single page"
+    own = " ".join(f"w{i}" for i in range(30))
+    data = [(k, f"http://h.x/?ref={k}", f"<div>{shared}</div><p>{own}</p>") for k in (1, 2)] + [(3, "http://h.x/3", f"<div>{shared}</div><p>other</p>")]
+    rows = extract_main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {1: own, 2: own, 3: "other"}

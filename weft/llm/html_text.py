@@ -5,7 +5,7 @@ like (by element, role, class or id) go. If the page has text inside ``article``
 page without such an element is undecided: all its other blocks are candidates, and the token streams of its host tell
 which are boilerplate. The streams of a host's pages (what lies outside main text) are concatenated, page after
 page, and a suffix array over them (ordered by the first ``RUN`` tokens, which is all that covering needs) finds every
-run of at least ``RUN`` tokens that recurs in a distinct page. Tokens that such runs cover are removed and the
+run of at least ``RUN`` tokens that recurs in a page with another stream (equal ones count once). Tokens that such runs cover are removed and the
 unique runs are kept.
 
 The method on its own can't give the wanted text: it would delete an article that two pages of a host share, and
@@ -221,10 +221,11 @@ def _undecided(rows: DataFrame) -> DataFrame:
     hosts = open_rows.select("__host").distinct()
     side = rows.join(hosts, "__host", "left_semi").select("__row", "__host", streams("__html").alias("blocks"))
     size = rows.groupBy("__host").agg(F.ceil(F.count(F.lit(1)) / CHUNK_PAGES).alias("__chunks"))
-    side = side.join(size, "__host").withColumn("__chunk", F.pmod(F.xxhash64("__row"), F.col("__chunks")))
+    # Pages with the same stream (mirrors) are one page to the runs, or they would empty each other.
+    side = side.join(size, "__host").withColumn("__stream", F.xxhash64("blocks")).withColumn("__chunk", F.pmod(F.xxhash64("__row"), F.col("__chunks")))
 
     def runs(group: pd.DataFrame) -> pd.DataFrame:
-        streams = [(int(r), [t for b in found for t in b.split(" ")]) for r, found in zip(group["__row"], group["blocks"], strict=True)]
+        streams = [(int(r), [t for b in found for t in b.split(" ")]) for r, found in zip(group["__stream"], group["blocks"], strict=True)]
         return pd.DataFrame([(group["__host"].iloc[0], *x) for x in chunk_runs(streams)], columns=["__host", "__run", "low", "high"])
 
     repeated = (
