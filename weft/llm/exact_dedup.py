@@ -1,4 +1,4 @@
-"""Exact duplicates by a binomial tree-merge of sorted digest runs, in DataFrame operations only.
+"""Exact duplicates by a hierarchical hash aggregation of digest runs (none is sorted), in DataFrame operations only.
 
 Every text becomes a digest entry ``(sha256, bytes, check) -> id, count``. Entries are spread over
 runs by id. At each level, ``FAN_IN`` runs are merged: entries with the same digest collapse into one
@@ -38,7 +38,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
 
 
 def merge_runs(entries: DataFrame, keep: str = "max", runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """One entry a digest ``(.., __keep, __n)``, merged over binomial levels from entries ``(__run, .., __keep, __n)``."""
+    """One entry a digest ``(.., __keep, __n)``, aggregated over levels of fewer runs from entries ``(__run, .., __keep, __n)``."""
     pick = F.max if keep == "max" else F.min
     while runs > 1:
         runs = -(-runs // fan_in)
