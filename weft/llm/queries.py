@@ -59,12 +59,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .passage_dedup import passage_dedup
-
-    return passage_dedup(table(spark, sf_dir, "documents"))
-
-
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,7 +77,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_quality_rules, op3_near_dedup, op4_packing, op5_html_text, op6_url_filter, op7_language_id,
-        op8_substring_dedup, op8_passage_dedup, op9_byte_bpe, op10_exact_dedup,
+        op8_substring_dedup, op9_byte_bpe, op10_exact_dedup,
     )
 }
 
@@ -98,28 +92,40 @@ ORACLE_SQL = {
         FROM f
     """,
     "op8_substring_dedup": r"""
-        WITH lines AS (
-          SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-          FROM documents
+        WITH marked AS (
+          SELECT doc_id, regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?][\x20\x09\x0B-\x0D]+)', '\1' || chr(1), 'g') AS text FROM documents
+        ), segments AS (
+          SELECT doc_id, unnest(string_split(text, chr(1))) AS segment, generate_subscripts(string_split(text, chr(1)), 1) AS i FROM marked
+        ), counted AS (
+          SELECT *, translate(trim(regexp_replace(segment, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+          FROM segments
+        ), sized AS (
+          SELECT *, CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1 END AS n FROM counted
         ), placed AS (
-          SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
-            translate(trim(regexp_replace(line, '[\x09-\x0D ]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
-          FROM lines
+          SELECT *, coalesce(sum(length(segment)) OVER w, 0) AS s, coalesce(sum((n >= 8)::INT) OVER w, 0) AS u, sum(n) OVER (PARTITION BY doc_id) AS total,
+            max(CASE WHEN n > 0 THEN i END) OVER (PARTITION BY doc_id) AS last_word
+          FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), named AS (
+          SELECT doc_id, i, segment, norm, n, s, CASE WHEN i > last_word THEN max(CASE WHEN i <= last_word THEN u END) OVER (PARTITION BY doc_id) ELSE u END AS u
+          FROM placed WHERE total > 0
         ), units AS (
-          SELECT doc_id, i, s, s + length(line) AS e, norm FROM placed
-          WHERE norm <> '' AND length(norm) - length(replace(norm, ' ', '')) + 1 >= 20
+          SELECT doc_id, u, min(s)::BIGINT AS s, sum(n) AS n, string_agg(segment, '' ORDER BY i) AS raw, string_agg(CASE WHEN norm <> '' THEN norm END, ' ' ORDER BY i) AS norm
+          FROM named GROUP BY doc_id, u
         ), ranked AS (
-          SELECT *, first_value(doc_id) OVER w AS kd, first_value(s) OVER w AS ks FROM units WINDOW w AS (PARTITION BY norm ORDER BY doc_id, s)
-        ), gone AS (SELECT * FROM ranked WHERE doc_id <> kd OR s <> ks),
-        spans AS (
-          SELECT doc_id, count(*) AS n, string_agg(s || ',' || e || ',' || kd || ',' || ks, ';' ORDER BY s) AS removed FROM gone GROUP BY doc_id
+          SELECT *, s + length(raw) AS e, first_value(doc_id) OVER w AS kd, first_value(s) OVER w AS ks FROM units WINDOW w AS (PARTITION BY norm ORDER BY doc_id, s)
+        ), later AS (
+          SELECT *, u - row_number() OVER (PARTITION BY doc_id ORDER BY u) AS run FROM ranked WHERE doc_id <> kd OR s <> ks
+        ), runs AS (
+          SELECT doc_id, run, min(s) AS s, max(e) AS e, arg_min(kd, u) AS kd, arg_min(ks, u) AS ks FROM later GROUP BY doc_id, run HAVING sum(n) >= 20
+        ), spans AS (
+          SELECT doc_id, count(*) AS n, string_agg(s || ',' || e || ',' || kd || ',' || ks, ';' ORDER BY s) AS removed FROM runs GROUP BY doc_id
         ), rest AS (
-          SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) AS text
-          FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id
+          SELECT u.doc_id, string_agg(u.raw, '' ORDER BY u.u) AS text
+          FROM units u WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = u.doc_id AND u.s >= r.s AND u.s < r.e) GROUP BY u.doc_id
         )
-        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text,
+        SELECT d.doc_id, CASE WHEN sp.doc_id IS NULL THEN d.text ELSE coalesce(r.text, '') END AS text,
           coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed_spans
-        FROM documents d LEFT JOIN rest r USING (doc_id) LEFT JOIN spans USING (doc_id)
+        FROM documents d LEFT JOIN rest r USING (doc_id) LEFT JOIN spans sp USING (doc_id)
     """,
     "op6_url_filter": """
         WITH parsed AS (
