@@ -7,9 +7,10 @@ one that helps most, as long as the likelihood gained exceeds the penalty of hal
 further proportion. The prediction is the language with the largest proportion in the chosen set, its score that proportion
 times the posterior probability of the single best language among single ones where only one is chosen.
 
-The counts are taken over a sample of at most ``SAMPLE_ROWS`` labelled documents (the smallest hashes of doc_id), each
-read whole. A prediction reads nothing but the text. Null text, or a text without a letter, gives ``und`` with score 0.
-Without any labelled document every text is ``und``. Ties go to the language that sorts first. Rows that repeat are predicted each.
+The counts are taken over a sample of at most ``SAMPLE_ROWS`` labelled documents (the smallest hashes of doc_id; of rows that
+repeat a doc_id, one: that of the first language, then text hash), each read whole; every n-gram counts. A prediction reads nothing but the text, whole and however long. Null text, or a text
+without a letter (``str.isalpha``), gives ``und`` with score 0. Without any labelled document every text is ``und``. Ties go to the language that
+sorts first. Rows that repeat are predicted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,16 @@ N = 3
 CACHE_WORDS = 100_000
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, langs array<string>, shares array<double>"
-LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters (``str.isalpha``), lower-cased."""
+    found = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # The class also takes number signs such as superscripts, fractions and Roman numerals.
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split(" ") if w]
 
 
 def grams(word: str, n: int = N) -> list[str]:
@@ -110,7 +120,7 @@ def mixture(logs: np.ndarray, weights: np.ndarray, steps: int = 15) -> tuple[flo
 def predict(text: str | None, profile: Profile | None) -> tuple[str, float, list[str], list[float]]:
     if not text or profile is None or not profile.langs:
         return UNKNOWN, 0.0, [], []
-    bag = Counter(LETTERS.findall(text.lower()))
+    bag = Counter(words_of(text))
     if not bag:
         return UNKNOWN, 0.0, [], []
     logs = profile.words(bag)
@@ -150,17 +160,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     sample = (
         docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
-        .orderBy(F.xxhash64("__id"), "__id", "__lang")
+        .groupBy(F.col(id_col).alias("__id"))
+        .agg(F.min(F.struct(F.col(lang_col).cast("string").alias("__lang"), F.xxhash64(text_col).alias("__hash"))).alias("first"))
+        .orderBy(F.xxhash64("__id"), "__id")
         .limit(rows)
+        .select("__id", "first.*")
     )
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample.distinct()), "__id")
+    own = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
+    # Equal rows count once.
+    chosen = own.join(F.broadcast(sample), ["__id", "__lang", "__hash"]).dropDuplicates(["__id"])
 
     def count(batches):
         for b in batches:
             bags: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b["__lang"], b["__text"], strict=True):
-                bags[lang].update(LETTERS.findall(text.lower()))
+                bags[lang].update(words_of(text))
             found: Counter = Counter()
             for lang, bag in bags.items():
                 for w, n in bag.items():
@@ -168,7 +182,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                         found[lang, g] += n
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "gram", "n"])
 
-    counts = chosen.select("__lang", "__text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    counts = chosen.select("__lang", "__text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
     return fit_profile({(a, g): n for a, g, n in counts.itertuples(index=False)})
@@ -179,8 +193,7 @@ def predicted(profile: Profile | None, text: Column) -> Column:
 
     @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        if profile is not None:
-            take_memory(profile)
+        take_memory("language_id")
         return pd.DataFrame([predict(t, profile) for t in texts], columns=["lang_pred", "score", "langs", "shares"])
 
     return run(text)
