@@ -151,6 +151,7 @@ def encode_documents(
 
     @F.pandas_udf(schema)
     def whole(texts: pd.Series) -> pd.DataFrame:
+        take_memory("byte_bpe", codec.cache_clear)
         coder = codec(vocabulary, pattern)
         return pd.DataFrame([result(coder.encode(t)) for t in texts], columns=names)
 
@@ -173,8 +174,8 @@ def encode_documents(
 
     def pre_tokenise(batches):
         """Each chunk's boundaries, and the ids of its pre-tokens with their counts, in order."""
+        take_memory("byte_bpe", codec.cache_clear)
         coder = codec(vocabulary, pattern)
-        take_memory(coder.memory)
         for batch in batches:
             # Lists of boundaries are much larger than the chunks, so a few go at a time.
             for at in range(0, len(batch), 64):
@@ -183,6 +184,7 @@ def encode_documents(
                 yield b.assign(ends=[f[0] for f in found], counts=[f[1] for f in found], ids=[f[2] for f in found])
 
     def join_chunks(group: pd.DataFrame) -> pd.DataFrame:
+        take_memory("byte_bpe", codec.cache_clear)
         coder = codec(vocabulary, pattern)
         g = group.sort_values("start")
         ids = stitch(list(zip(g["start"].astype(int), g["chunk"], g["ends"], g["counts"], g["ids"], strict=True)), coder)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,18 +50,35 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-_memories: list = []
+_forget: dict[str, Callable[[], None]] = {}
 
 
-def take_memory(memory) -> None:
-    """In a Python worker: ``memory`` (anything with ``clear``) may fill up now, so forget what other operators remember.
+def take_memory(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """In a Python worker: ``owner`` works now, and ``forget`` drops what it remembers; all others forget theirs.
 
-    Workers are reused from stage to stage; without this, the memories of all stages would add up.
+    Workers are reused from stage to stage; without this, the memories of all stages would add up. What is freed goes back to the
+    system, which the allocators don't do by themselves. ``forget`` must be a function of a module, as anything else
+    reaches a worker as a copy.
     """
-    held = [m for m in (r() for r in _memories) if m is not None and m is not memory]
-    for m in held:
-        m.clear()
-    _memories[:] = [weakref.ref(m) for m in (*held, memory)]
+    others = [k for k in _forget if k != owner]
+    for k in others:
+        _forget.pop(k)()
+    if others or not _forget:
+        give_back()
+    _forget[owner] = forget or (lambda: None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Another C library, which has no such call.
+        pass
 
 
 def crc32_of(c: Column) -> Column:

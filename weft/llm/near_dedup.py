@@ -66,6 +66,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget_words() -> None:
+    _words.clear()
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles; of fewer words, the whole sequence is one."""
     if not text:
@@ -169,7 +173,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        take_memory(_words)
+        take_memory("near_dedup", forget_words)
         for b in batches:
             out = []
             for i, h, t in zip(b["__id"], b["__hash"], b["__text"], strict=True):
@@ -220,7 +224,7 @@ def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, pe
     stream = roles.join(texts, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "part")
 
     def run(batches):
-        take_memory(_words)
+        take_memory("near_dedup", forget_words)
         held = None
         for batch in batches:
             out = []

@@ -268,8 +268,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         return pd.DataFrame([(*r[:5], base + r[5], *r[6:]) for r in rows], columns=columns)
 
     def run(batches):
+        take_memory("packing", word_tokens.cache_clear)
         tokens, packer = word_tokens(tokenizer), Packer(window)
-        take_memory(tokens)
         for b in batches:
             yield frame([r for doc, text in zip(b["__id"], b["__text"], strict=True) for r in packer.add(doc, tokens.encode(text) + end)])
         yield frame(list(packer.close()))
