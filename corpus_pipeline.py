@@ -14,7 +14,7 @@ from weft.llm.exact_dedup import drop_exact_duplicates
 from weft.llm.language_id import predicted, train
 from weft.llm.near_dedup import drop_near_duplicates
 from weft.llm.packing import pack_documents
-from weft.llm.substring_dedup import keep_unique_lines
+from weft.llm.substring_dedup import keep_unique_passages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines cut out; a document that had nothing else goes. ``n_chars`` follows the text."""
-    return keep_unique_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Repeated passages cut out; a document that had nothing else goes. ``n_chars`` follows the text."""
+    return keep_unique_passages(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
