@@ -1,6 +1,9 @@
 import hashlib
 
-from weft.llm.exact_dedup import drop_exact_duplicates, exact_dedup
+import pytest
+from pyspark.sql import functions as F
+
+from weft.llm.exact_dedup import drop_exact_duplicates, exact_dedup, merge_runs
 
 
 def test_against_brute_force(spark):
@@ -26,3 +29,25 @@ def test_smallest_may_stay_and_empty(spark):
     docs = spark.createDataFrame([(3, "a"), (2, "a"), (9, "b")], "doc_id long, text string")
     assert {r.doc_id: r.keep_id for r in exact_dedup(docs, keep="min").collect()} == {3: 2, 2: 2, 9: 9}
     assert exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_merge_of_runs(spark):
+    """Sorted runs merge over three levels into one entry a digest; the plan has the sorts and no row meets in one task by run alone."""
+    entries = [(k % 64, k % 3, bytes([k % 7, 1]), k % 7 + 10, k % 7 * 5, k if k % 11 else None, 1 + k % 2) for k in range(640)]
+    df = spark.createDataFrame(entries, "__run int, __range int, __sha binary, __bytes long, __check long, __keep long, __n long")
+    # A digest has one range.
+    df = df.withColumn("__range", F.hash("__sha") % 5)
+    merged = merge_runs(df)
+    want = {}
+    for *_, sha, size, check, keep, n in entries:
+        best, total = want.get(sha, (None, 0))
+        want[sha] = (keep if best is None else best if keep is None else max(best, keep), total + n)
+    assert {bytes(r["__sha"]): (r["__keep"], r["__n"]) for r in merged.collect()} == want
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Window") >= 2
+
+
+def test_disagreement_raises(spark):
+    """Two entries of one digest whose lengths differ are an error, not two groups."""
+    df = spark.createDataFrame([(0, 0, b"x", 1, 5, 1, 1), (1, 0, b"x", 2, 5, 2, 1)], "__run int, __range int, __sha binary, __bytes long, __check long, __keep long, __n long")
+    with pytest.raises(Exception, match="one SHA-256"):
+        merge_runs(df).collect()
