@@ -35,6 +35,8 @@ from .common import cut, fresh_path, salted_join
 MIN_REVISIT = 100
 #: A package's WARC member is closed beyond this many bytes, and the next one begun.
 MEMBER_BYTES = 64 << 20
+#: Tasks that read packages.
+MOST_TASKS = 20_000
 #: Records next to each other are read in one range of at most about this size.
 RANGE_BYTES = 4 << 20
 PROFILE = "http://netpreservefoundation.org/warc/1.1/revisit/identical-payload-digest"
@@ -291,7 +293,8 @@ def read_packages(members: DataFrame, folder: str) -> DataFrame:
                             rows = []
                     yield _frame(rows)
 
-    return members.repartition("path", "member").mapInPandas(run, READ)
+    # As many tasks as members, which Spark would take for a small table and give to one task; of very many, several a task.
+    return members.repartition(max(1, min(members.count(), MOST_TASKS))).mapInPandas(run, READ)
 
 
 def _frame(rows: list) -> pd.DataFrame:
