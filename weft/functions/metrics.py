@@ -79,8 +79,8 @@ def roc_auc_ovr(df: DataFrame, y: str, probabilities: dict) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(k).alias("c"), F.col(v).cast("double").alias("s")) for k, v in sorted(probabilities.items())])
     t = df.select(F.col(y).alias("y"), F.explode(parts).alias("x")).select(F.col("x.c").alias("c"), F.col("x.s").alias("s"), (F.col("y") == F.col("x.c")).cast("int").alias("pos"))
     t = t.groupBy("c", "s").agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("below", below).groupBy("c").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p > 0 and n > 0")
+    t = running_sums(t, "s", ["neg"], ["c"]).withColumn("below", F.col("cum_neg") - F.col("neg"))
+    t = t.groupBy("c").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p > 0 and n > 0")
     return t.agg(F.coalesce(F.sum(F.col("area") / (F.col("p") * F.col("n")) * F.col("p")) / F.sum("p"), F.lit(0.5)).alias("auc"))
 
 

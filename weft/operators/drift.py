@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import roc_auc
 from ..functions.stats import chi2_sf, ks_p
-from ..plans.ordering import hash_index, running_sums
+from ..plans.ordering import hash_index, percentiles, running_sums
 from .transforms import numeric_columns
 
 
@@ -61,7 +61,7 @@ def verdict(found: DataFrame) -> DataFrame:
     )
 
 
-def adversarial(reference: DataFrame, new: DataFrame, id_cols: list[str], folds: int = 5, seed: int = 42, trees: int = 50) -> dict:
+def adversarial(reference: DataFrame, new: DataFrame, id_cols: list[str], folds: int = 5, seed: int = 42, trees: int = 100) -> dict:
     """How well a forest tells the two tables apart, out of fold: auc, distinguishable (above 0.6), severity and importances."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -69,7 +69,7 @@ def adversarial(reference: DataFrame, new: DataFrame, id_cols: list[str], folds:
 
     numbers = [c for c in numeric_columns(reference) if c in new.columns and c not in id_cols]
     both = together(reference, new)
-    medians = both.agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(c) for c in numbers]).first().asDict()
+    medians = {c: v[0] for c, v in percentiles(both, {c: [0.5] for c in numbers}).items()}
     both = both.na.fill({c: v for c, v in medians.items() if v is not None}).withColumn("__y", F.col("__new").cast("double"))
     both = hash_index(both, [*id_cols, "__new"], seed, ["__new"]).withColumn("__fold", ((F.col("__rn") - 1) % folds).cast("int"))
     ready = VectorAssembler(inputCols=numbers, outputCol="__x", handleInvalid="skip").transform(both).select("__x", "__y", "__fold").persist()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, DataError
-from ..plans.ordering import value_index
+from ..plans.ordering import searchsorted, value_index
 
 
 def blend(df: DataFrame, columns: list[str], method: str = "mean", weights: list[float] | None = None, power: float = 1.0, id_cols: list[str] | None = None, out: str = "blend") -> DataFrame:
@@ -117,11 +117,12 @@ class Calibrator:
             return 1 / (1 + F.exp(-(self.a * p + self.b)))
         if len(self.x) == 1:
             return F.lit(self.y[0])
-        out = F.when(p <= self.x[0], F.lit(self.y[0]))
-        for k in range(len(self.x) - 1):
-            x0, x1, y0, y1 = self.x[k], self.x[k + 1], self.y[k], self.y[k + 1]
-            out = out.when(p <= x1, F.lit(y0) + (p - x0) * ((y1 - y0) / (x1 - x0)))
-        return F.least(F.greatest(out.otherwise(F.lit(self.y[-1])), F.lit(0.0)), F.lit(1.0))
+        xs, ys = (F.array(*[F.lit(float(v)) for v in values]) for values in (self.x, self.y))
+        # The piece between the last point that a value reaches and the next one.
+        k = F.least(F.greatest(searchsorted([float(v) for v in self.x], p), F.lit(1)), F.lit(len(self.x) - 1))
+        x0, x1, y0, y1 = (F.element_at(v, k + d) for v in (xs, ys) for d in (0, 1))
+        out = F.when(p <= self.x[0], F.lit(self.y[0])).when(p >= self.x[-1], F.lit(self.y[-1])).otherwise(y0 + (p - x0) * ((y1 - y0) / (x1 - x0)))
+        return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
     def transform(self, df: DataFrame, prob: str, out: str = "calibrated") -> DataFrame:
         return df.withColumn(out, self.column(F.col(prob)))
@@ -137,10 +138,6 @@ def calibrate(df: DataFrame, y: Column, prob: str, method: str = "auto") -> Cali
         method = "isotonic" if n >= 1000 else "sigmoid"
     if method == "isotonic":
         xs, ys = pool_adjacent(x, t, w)
-        if len(xs) > 500:
-            # A plan holds no more than 500 pieces: merge neighbours by weight.
-            keep = np.unique(np.linspace(0, len(xs) - 1, 500).astype(int))
-            xs, ys = [xs[i] for i in keep], [ys[i] for i in keep]
         return Calibrator("isotonic", xs, ys)
     if method != "sigmoid":
         raise ConfigError(f"unknown method {method!r}")

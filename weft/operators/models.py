@@ -189,9 +189,11 @@ class Knn:
         blocks = max(1, -(-n // self.block))
         pack = lambda d: d.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), *(["__y"] if "__y" in d.columns else ["__row"]))
         train = pack(self.rows).withColumn("b", F.pmod(F.xxhash64("x", "__y"), F.lit(blocks)).cast("int"))
-        marked = df.withColumn("__row", F.monotonically_increasing_id())
+        # A row is its features: equal ones have the same neighbours, and a key of its own content is the same wherever it is computed.
+        features_of = lambda d: F.array(*[d[c].cast("double") for c in features])
+        marked = df.withColumn("__row", features_of(df))
         # Each block of queries meets each block of training rows once.
-        asked = pack(marked).withColumn("q", F.pmod(F.xxhash64("__row"), F.lit(max(1, spark.sparkContext.defaultParallelism))).cast("int"))
+        asked = pack(marked).dropDuplicates(["__row"]).withColumn("q", F.pmod(F.xxhash64("__row"), F.lit(max(1, spark.sparkContext.defaultParallelism))).cast("int"))
         left = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         queries = max(1, spark.sparkContext.defaultParallelism)
         right = train.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(queries - 1))))
@@ -205,11 +207,11 @@ class Knn:
                 part = x[at : at + 1024]
                 d = np.maximum((part**2).sum(1)[:, None] - 2 * part @ t.T + (t**2).sum(1)[None, :], 0)
                 best = np.lexsort((np.broadcast_to(y, d.shape), d), axis=1)[:, :k]
-                rows = np.repeat(a["__row"].to_numpy()[at : at + 1024], best.shape[1])
+                rows = [r for r in a["x"].iloc[at : at + 1024] for _ in range(best.shape[1])]
                 out.append(pd.DataFrame({"__row": rows, "d": np.take_along_axis(d, best, 1).ravel(), "y": y[best].ravel()}))
             return pd.concat(out)
 
-        pairs = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(near, "__row long, d double, y double")
+        pairs = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(near, "__row array<double>, d double, y double")
         nearest = pairs.groupBy("__row").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "y"))), 1, k).alias("s"))
         weight = (lambda s: 1 / (F.sqrt(s["d"]) + 1e-10)) if by_distance else (lambda s: F.lit(1.0))
         total = F.aggregate("s", F.lit(0.0), lambda a, s: a + weight(s))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..errors import DataError
 from ..functions.metrics import roc_auc
 from .partition import detect_task
+from ..plans.ordering import percentiles, searchsorted
 from .transforms import numeric_columns
 
 CHECK = "check string, feature string, value double, severity string"
@@ -26,32 +27,34 @@ def _long(row: DataFrame, parts: list[tuple]) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """A row a column: dtype, count, missing, missing_pct, unique; mean, std, min, max, median of numbers; top and top_freq of others.
 
-    All but the tops come from one aggregate; the tops are one more over the unpivoted other columns.
+    One aggregate for counts and moments, exact medians by closing in on their ranks, and for each column a count of its values, which gives
+    the number of distinct ones and the top: it reads and shuffles that column alone, once, after a partial aggregation.
     """
-    numbers = set(numeric_columns(df))
-    made, parts = [F.count(F.lit(1)).alias("n")], []
+    numbers = numeric_columns(df)
+    medians = percentiles(df, {c: [0.5] for c in numbers})
+    made, parts, counted = [F.count(F.lit(1)).alias("n")], [], None
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
-        made += [F.count(c).alias(f"c{i}"), F.countDistinct(c).alias(f"u{i}")]
         number = f.name in numbers
+        made.append(F.count(c).alias(f"c{i}"))
         if number:
-            made += [F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"), F.min(c).cast("double").alias(f"l{i}"), F.max(c).cast("double").alias(f"h{i}"), F.expr(f"percentile(`{f.name}`, 0.5)").alias(f"m{i}")]
+            made += [F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"), F.min(c).cast("double").alias(f"l{i}"), F.max(c).cast("double").alias(f"h{i}")]
         missing = F.col("n") - F.col(f"c{i}")
         null = F.lit(None).cast("double")
         parts.append((f.name, [
             ("dtype", F.lit(f.dataType.simpleString())), ("count", F.col("n")), ("missing", missing),
-            ("missing_pct", F.when(F.col("n") > 0, F.round(100 * missing / F.col("n"), 1)).otherwise(F.lit(0.0))), ("unique", F.col(f"u{i}")),
-            *[(k, F.col(f"{x}{i}") if number else null) for k, x in (("mean", "a"), ("std", "s"), ("min", "l"), ("max", "h"), ("median", "m"))],
+            ("missing_pct", F.when(F.col("n") > 0, F.round(100 * missing / F.col("n"), 1)).otherwise(F.lit(0.0))),
+            *[(k, F.col(f"{x}{i}") if number else null) for k, x in (("mean", "a"), ("std", "s"), ("min", "l"), ("max", "h"))],
+            ("median", F.lit(medians[f.name][0]).cast("double") if number else null),
         ]))
-    table = _long(df.agg(*made), parts)
-    others = [f.name for f in df.schema.fields if f.name not in numbers]
-    if not others:
-        return table.withColumn("top", F.lit(None).cast("string")).withColumn("top_freq", F.lit(None).cast("long"))
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in others])).alias("s")).select("s.*").where("v is not null")
-    counts = cells.groupBy("column", "v").agg(F.count(F.lit(1)).alias("k"))
-    # The largest count, of ties the smallest value.
-    best = counts.groupBy("column").agg(F.max("k").alias("top_freq"), F.min_by("v", F.struct(-F.col("k"), F.col("v"))).alias("top"))
-    return table.join(F.broadcast(best), "column", "left")
+        values = df.select(c.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+        # The largest count, of ties the smallest value.
+        text = F.col("v").cast("string")
+        top = [F.lit(None).cast("long"), F.lit(None).cast("string")] if number else [F.max("k"), F.min_by(text, F.struct(-F.col("k"), text))]
+        one = values.agg(F.count(F.lit(1)).alias("unique"), top[0].alias("top_freq"), top[1].alias("top")).select(F.lit(f.name).alias("column"), "*")
+        counted = one if counted is None else counted.unionAll(one)
+    table = _long(df.agg(*made), parts).join(F.broadcast(counted), "column")
+    return table.select("column", "dtype", "count", "missing", "missing_pct", "unique", "mean", "std", "min", "max", "median", "top_freq", "top")
 
 
 def profile_target(df: DataFrame, target: str) -> DataFrame:
@@ -163,11 +166,9 @@ def single_auc(df: DataFrame, y, feature: str) -> DataFrame:
 
 def mutual_information(df: DataFrame, target: str, feature: str, bins: int = 10) -> DataFrame:
     """One row: information in nats between the target and a feature's quantile bins."""
-    shares = ", ".join(str(k / bins) for k in range(1, bins))
-    edges = df.agg(F.array_distinct(F.expr(f"percentile(`{feature}`, array({shares}))")).alias("e"))
-    t = df.where(F.col(feature).isNotNull()).crossJoin(F.broadcast(edges))
-    number = F.size(F.filter("e", lambda e: F.col(feature) >= e))
-    cells = t.groupBy(number.alias("b"), F.col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    edges = sorted({e for e in percentiles(df, {feature: [k / bins for k in range(1, bins)]})[feature] if e is not None})
+    number = searchsorted(edges, F.col(feature).cast("double"))
+    cells = df.where(F.col(feature).isNotNull()).groupBy(number.alias("b"), F.col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     n, nb, ny = (F.sum("n").over(Window.partitionBy(*w)) for w in ([F.lit(0)], ["b"], ["y"]))
     term = cells.select((F.col("n") / n * F.log(F.col("n") * n / (nb * ny))).alias("x"))
     return term.agg(F.greatest(F.sum("x"), F.lit(0.0)).alias("mi")).select(F.lit(feature).alias("feature"), F.col("mi").alias("value"))

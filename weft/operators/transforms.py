@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, DataError
+from ..plans.ordering import percentiles
 
 #: Up to so many levels a mapping is part of the plan; beyond it, it is a joined table.
 LITERAL_LEVELS = 256
@@ -223,10 +224,12 @@ def scale(df: DataFrame, columns: Sequence[str] | None = None, method: str = "st
     """standard (population deviation), minmax, or robust (exact quartiles). A width of 0 counts as 1."""
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
     _need(df, columns)
+    if method == "robust":
+        found = percentiles(df, {c: [0.5, 0.25, 0.75] for c in columns})
+        return Scaler(method, {c: found[c][0] or 0.0 for c in columns}, {c: ((found[c][2] - found[c][1]) if found[c][0] is not None else 0.0) or 1.0 for c in columns})
     parts = {
         "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
         "minmax": lambda c: (F.min(c).cast("double"), F.max(c).cast("double") - F.min(c).cast("double")),
-        "robust": lambda c: (F.expr(f"percentile(`{c}`, 0.5)"), F.expr(f"percentile(`{c}`, 0.75) - percentile(`{c}`, 0.25)")),
     }
     if method not in parts:
         raise ConfigError(f"unknown method {method!r}")
@@ -268,10 +271,12 @@ def impute(df: DataFrame, columns: Sequence[str] | None = None, method: str = "m
     if method == "constant":
         return Imputer(method, dict.fromkeys(columns, value))
     if method == "mode":
-        made = [F.expr(f"mode() WITHIN GROUP (ORDER BY `{c}`)") for c in columns]
-    else:
-        made = [F.expr(f"percentile(`{c}`, 0.5)") if method == "median" else F.avg(c) for c in columns]
-    r = df.agg(*[m.alias(str(i)) for i, m in enumerate(made)]).first() if columns else []
+        # Of the largest count the smallest value, from one count of values a column.
+        best = [df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__k")).agg(F.min_by(c, F.struct(-F.col("__k"), F.col(c)))).first()[0] for c in columns]
+        return Imputer(method, dict(zip(columns, best, strict=True)))
+    if method == "median":
+        return Imputer(method, {c: v[0] for c, v in percentiles(df, {c: [0.5] for c in columns}).items()})
+    r = df.agg(*[F.avg(c).alias(str(i)) for i, c in enumerate(columns)]).first() if columns else []
     return Imputer(method, {c: r[i] for i, c in enumerate(columns)})
 
 
@@ -313,17 +318,14 @@ def discretize(df: DataFrame, columns: Sequence[str], bins: int = 5, method: str
     if method not in ("quantile", "uniform"):
         raise ConfigError(f"unknown method {method!r}")
     _need(df, columns)
-    shares = ", ".join(str(k / bins) for k in range(1, bins))
-    made = []
-    for i, c in enumerate(columns):
-        made += [F.expr(f"percentile(`{c}`, array({shares}))").alias(f"q{i}"), F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"), F.expr(f"percentile(`{c}`, 0.5)").alias(f"m{i}")]
-    r = df.agg(*made).first()
+    found = percentiles(df, {c: [0.5, *(k / bins for k in range(1, bins) if method == "quantile")] for c in columns})
+    r = df.agg(*[x.alias(f"{n}{i}") for i, c in enumerate(columns) for n, x in (("lo", F.min(c).cast("double")), ("hi", F.max(c).cast("double")))]).first()
     edges = {}
     for i, c in enumerate(columns):
         lo, hi = r[f"lo{i}"], r[f"hi{i}"]
-        inner = (r[f"q{i}"] or []) if method == "quantile" else ([] if lo is None else [lo + (hi - lo) * k / bins for k in range(1, bins)])
+        inner = [e for e in found[c][1:] if e is not None] if method == "quantile" else ([] if lo is None else [lo + (hi - lo) * k / bins for k in range(1, bins)])
         edges[c] = sorted({float(e) for e in inner if lo < e})
-    return Binner(edges, {c: r[f"m{i}"] for i, c in enumerate(columns)})
+    return Binner(edges, {c: found[c][0] for c in columns})
 
 
 # Composition
