@@ -104,16 +104,15 @@ def test_pack_documents(spark):
 
 def test_memories_are_shared():
     from weft.llm import common
-    from weft.llm.near_dedup import _words
+    from weft.llm.near_dedup import _words, forget_words
+    from weft.llm.packing import word_tokens
 
-    tokens = WordTokens(PATH)
-    common.take_memory(_words)
+    common.take_memory("near_dedup", forget_words)
     _ = _words[b"a"]
-    common.take_memory(tokens)
-    assert not _words
-    tokens.encode("some words")
-    common.take_memory(_words)
-    assert not tokens and not tokens.pieces
-    del tokens
-    common.take_memory(_words)
-    assert len(common._memories) <= 3
+    common.take_memory("packing", word_tokens.cache_clear)
+    assert not _words and list(common._forget) == ["packing"]
+    word_tokens(PATH)
+    common.take_memory("packing", word_tokens.cache_clear)
+    assert word_tokens.cache_info().currsize == 1
+    common.take_memory("near_dedup", forget_words)
+    assert word_tokens.cache_info().currsize == 0 and list(common._forget) == ["near_dedup"]

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import take_memory
+from .common import take_memory, text_batches
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
@@ -158,7 +158,7 @@ def encode_documents(
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     # Ids go as text, since pandas would turn a column with nulls into floats.
-    rows = docs.select(F.col(id_col).cast("string").alias("__id"), text.alias("__text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("string").alias("__id"), text.alias("__text"))
     short = rows.where(F.length("__text") <= chunk_chars).select("__id", whole("__text").alias("r"))
 
     # Chunks of long texts. The key is the row's identity and content, so rows that repeat come back as one group and are counted.

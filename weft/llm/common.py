@@ -50,6 +50,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch; texts can be long, and a batch is held several times over (in the JVM, as Arrow data, as objects).
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands texts to Python in batches of at most ``TEXT_ROWS`` rows from now on."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 _forget: dict[str, Callable[[], None]] = {}
 
 

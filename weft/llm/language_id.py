@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, take_memory
+from .common import crc32_of, take_memory, text_batches
 
 SAMPLE_ROWS = 3_000
 N = 3
@@ -159,7 +159,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The n-gram counts are summed by a shuffle; their number is bounded by the sample and they come to the driver.
     """
     sample = (
-        docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
+        text_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id"))
         .agg(F.min(F.struct(F.col(lang_col).cast("string").alias("__lang"), F.xxhash64(text_col).alias("__hash"))).alias("first"))
         .orderBy(F.xxhash64("__id"), "__id")
@@ -201,4 +201,4 @@ def predicted(profile: Profile | None, text: Column) -> Column:
 
 def identify(docs: DataFrame, profile: Profile | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, held_out, lang_pred, score, langs and shares."""
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), predicted(profile, F.col(text_col)).alias("__r")).select(id_col, "held_out", "__r.*")
+    return text_batches(docs).select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), predicted(profile, F.col(text_col)).alias("__r")).select(id_col, "held_out", "__r.*")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, salted_join, take_memory
+from .common import cut, release, salted_join, take_memory, text_batches
 
 ROWS = 5
 MISS = 1e-7
@@ -376,7 +376,7 @@ def closest(one: list[tuple], two: list[tuple], threshold: float, most: int) ->
 def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, rows: int) -> DataFrame:
     """One row for each row of ``docs``: __id, __hash (of the text), __n, component_id and kept."""
     threshold = percent / 100
-    full = cut(_nodes(docs, id_col, text_col, width, bands_for(threshold, rows), rows))
+    full = cut(_nodes(text_batches(docs), id_col, text_col, width, bands_for(threshold, rows), rows))
     everyone = full.select("__id", "__hash", "__n", "__node")
     some = full.where("__node is not null")
     # The row that stands for a node: of the smallest id.

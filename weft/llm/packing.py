@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import take_memory
+from .common import take_memory, text_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -275,5 +275,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         yield frame(list(packer.close()))
 
     # Ids go as text, since pandas would turn a column with nulls into floats.
-    rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("string").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     return rows.mapInPandas(run, f"__id string, {SCHEMA}").select(F.col("__id").cast(kind).alias(id_col), *columns[1:])

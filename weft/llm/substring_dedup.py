@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, take_memory
+from .common import salted_join, take_memory, text_batches
 
 #: Words of a segment that ends a unit.
 UNIT_WORDS = 8
@@ -100,7 +100,7 @@ def find_units(docs: DataFrame, id_col: str, text_col: str, unit_words: int) ->
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS) -> DataFrame:
     """The units that are repeats, a row a document that has any: __id, __key and repeats (start, keep_id, keep_start)."""
-    found = find_units(docs, id_col, text_col, unit_words)
+    found = find_units(text_batches(docs), id_col, text_col, unit_words)
     rank = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("keep_id"), F.col("start").alias("keep_start"))
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first.keep_id", "first.keep_start")
     joined = salted_join(found, first, ["digest"], F.struct("__id", "start"))
