@@ -116,3 +116,29 @@ def test_memories_are_shared():
     assert word_tokens.cache_info().currsize == 1
     common.take_memory("near_dedup", forget_words)
     assert word_tokens.cache_info().currsize == 0 and list(common._forget) == ["near_dedup"]
+
+
+def test_waiting_workers_hold_nothing(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(40)], "doc_id long, text string").repartition(8)
+    pack_documents(docs, PATH).collect()
+
+    def held(batches):
+        from weft.llm.packing import word_tokens
+
+        for b in batches:
+            yield b.assign(n=word_tokens.cache_info().currsize)[["n"]]
+
+    # The same workers go on with these tasks.
+    assert {r.n for r in docs.mapInPandas(held, "n long").collect()} == {0}
+
+
+def test_memory_of_words_is_bounded_within_a_text(monkeypatch):
+    from weft.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    monkeypatch.setattr(packing, "SLICE_WORDS", 100, raising=False)
+    tokens = WordTokens(PATH)
+    text = " ".join(f"{'Ab'[i % 2]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{',.! '[i % 4]}" for i in range(3000))
+    assert tokens.encode(text) == np.array(tokens.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    # A word and its lower-cased letters for each word of the last slice, at most.
+    assert len(tokens) <= 300 + 2 * 100

@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import take_memory, text_batches
+from .common import give_back, take_memory, text_batches
 
 WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 400_000
+#: Words of a text that are encoded before the memory of words is looked at again.
+SLICE_WORDS = 10_000
 #: Windows that a task may keep open; beyond it, they are poured into full ones.
 MOST_OPEN = 4096
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -89,7 +91,7 @@ class WordTokens(dict):
         self.ordered = all(x < y for x, y in zip(order, order[1:], strict=False))
         self.merged = self.engine._core_bpe.encode_single_piece
         self.listed = _Listed(self._listed)
-        self.pieces: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     @staticmethod
     def tokenizer_tokens(path: str) -> list[dict]:
@@ -114,24 +116,26 @@ class WordTokens(dict):
     def _full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str, known: dict[str, bytes]) -> bytes:
         """Ids of one pre-token, lower-cased."""
-        ids = self.pieces.get(piece)
+        ids = known.get(piece)
         if ids is None:
             found = self.merged(piece.encode() + b"\0")
             if self.ordered and all(map(self.listed.__getitem__, found)):
                 ids = array("I", found).tobytes()
             else:
                 ids = self._full(piece)
-            self.pieces[piece] = ids
+            known[piece] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(self.SIGNS)
         if self.LETTERS.fullmatch(stem):
-            ids = self._piece(stem.lower())
+            # Lower-cased letters are a word too, so both are remembered in one place.
+            low = stem.lower()
+            ids = self._piece(word if low == word else low, self)
             if len(stem) < len(word):
-                ids += self._piece(word[len(stem) :])
+                ids += self._piece(word[len(stem) :], self.signs)
         else:
             ids = self._full(word)
         self[word] = ids
@@ -139,16 +143,17 @@ class WordTokens(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.pieces.clear()
+        self.signs.clear()
 
     def encode(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            super().clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
         if self.ODD.search(text):
             return self._full(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        words, out = text.split(), []
+        for at in range(0, len(words), SLICE_WORDS):
+            if len(self) + len(self.signs) > CACHE_WORDS:
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, words[at : at + SLICE_WORDS])))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -270,9 +275,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def run(batches):
         take_memory("packing", word_tokens.cache_clear)
         tokens, packer = word_tokens(tokenizer), Packer(window)
-        for b in batches:
-            yield frame([r for doc, text in zip(b["__id"], b["__text"], strict=True) for r in packer.add(doc, tokens.encode(text) + end)])
-        yield frame(list(packer.close()))
+        try:
+            for b in batches:
+                yield frame([r for doc, text in zip(b["__id"], b["__text"], strict=True) for r in packer.add(doc, tokens.encode(text) + end)])
+            yield frame(list(packer.close()))
+        finally:
+            # An executor may keep more workers than it runs tasks, and gives them tasks in turn: one that waits holds nothing.
+            del tokens, packer
+            word_tokens.cache_clear()
+            give_back()
 
     # Ids go as text, since pandas would turn a column with nulls into floats.
     rows = text_batches(docs).select(F.col(id_col).cast("string").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
