@@ -92,3 +92,35 @@ def test_tfidf(spark):
     assert sum(wide[0][f"t_tfidf_{i}"] ** 2 for i in range(3)) == pytest.approx(1) and wide[2]["t_tfidf_0"] == 0.0
     sparse = k.vectors(docs, "id", "t").orderBy("id").collect()
     assert sparse[0].features[0] == pytest.approx(wide[0]["t_tfidf_0"])
+
+
+def shuffled_rows(df):
+    """Rows that its exchanges wrote, once it has run."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        todo += [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_tfidf_shuffles_the_vocabulary_alone(spark):
+    """Of 9,000 pairs of a document and a term, those of the two terms in the vocabulary and a row a term and task."""
+    docs = spark.createDataFrame([(i, "top top also " + " ".join(f"w{(i * 29 + x * 7) % 300}" for x in range(28))) for i in range(300)], "id long, t string")
+    long = text.tokenize(docs, "id", "t", 2).long(docs, "id", "t")
+    assert {(r.term, r["index"]) for r in long.collect()} == {("also", 0), ("top", 1)} and long.count() == 600
+    assert shuffled_rows(long) < 4000
+
+
+def test_tfidf_of_repeated_and_null_ids(spark):
+    """Rows that share an id are one document, in frequencies and weights."""
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (None, "aa"), (None, "bb bb"), (3, "dd"), (4, None)], "id long, t string")
+    k = text.tokenize(docs, "id", "t", 2)
+    assert {r.term: (r["index"], r.df) for r in k.vocabulary.collect()} == {"aa": (0, 2), "bb": (1, 2)}
+    found = {(r.doc, r.term): r.weight for r in k.long(docs, "id", "t").collect()}
+    assert found == {key: pytest.approx(v / math.sqrt(5)) for key, v in {(1, "aa"): 2, (1, "bb"): 1, (None, "aa"): 1, (None, "bb"): 2}.items()}
+    assert text.tokenize(docs.where("id = 4"), "id", "t").vocabulary.count() == 0

@@ -1,4 +1,4 @@
-"""TF-IDF in long form (document, term, weight), one pass over tokens; dense columns and sparse vectors on top."""
+"""TF-IDF in long form (document, term, weight), from counts of the vocabulary's terms; dense columns and sparse vectors on top."""
 
 from __future__ import annotations
 
@@ -15,20 +15,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """doc, term, tf of the terms in a small table. Others go before the shuffle: most pairs of a document and a term are of terms outside a vocabulary."""
+    found = df.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
+    return found.join(F.broadcast(terms), "term").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @dataclass
 class Tokenizer:
-    """``vocabulary``: term, index (alphabetical), df, idf; at most ``max_features`` rows."""
+    """``vocabulary``: term, index (alphabetical), df, idf; at most ``max_features`` rows. ``terms``: its terms alone."""
 
     vocabulary: DataFrame
     n_docs: int
+    terms: DataFrame
 
     def long(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """doc, term, index, weight: tf times idf, of length 1 a document."""
-        counts = term_counts(df, id_col, text_col).join(F.broadcast(self.vocabulary), "term")
+        counts = term_counts(df, id_col, text_col, self.terms).join(F.broadcast(self.vocabulary), "term")
         raw = F.col("tf") * F.col("idf")
         norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("doc")))
         return counts.select("doc", "term", "index", (raw / norm).alias("weight"))
@@ -52,13 +55,17 @@ class Tokenizer:
 
 
 def tokenize(df: DataFrame, id_col: str, text_col: str, max_features: int = 100) -> Tokenizer:
-    """The most frequent terms by total count (ties alphabetical), with smoothed inverse document frequency."""
+    """The most frequent terms by total count (ties alphabetical), with smoothed inverse document frequency.
+
+    Totals choose the terms and need no documents, so they shuffle a row a term and task; document frequencies are then counted for the chosen terms alone.
+    """
     n = df.count()
-    counts = term_counts(df, id_col, text_col)
-    stats = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.desc("total"), "term").limit(max_features)
+    totals = df.select(F.explode(tokens(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    terms = totals.orderBy(F.desc("total"), "term").limit(max_features).select("term")
+    # Counts whose tf is used are those of ``long``, so that Spark makes them once for both.
+    stats = term_counts(df, id_col, text_col, terms).groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     index = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1).alias("index")
-    return Tokenizer(top.select("term", index, "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), n)
+    return Tokenizer(stats.select("term", index, "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), n, terms)
 
 
 embed = tokenize
