@@ -160,3 +160,24 @@ def test_streams(spark, tmp_path):
     seen = []
     monitor.watch_drift(stream, rows.withColumn("k", F.lit("a")), "k", lambda *x: seen.append(x), str(tmp_path / "c")).awaitTermination()
     assert len(seen) == 2 and all(s[3] for s in seen)
+
+
+@pytest.mark.parametrize("name", ["svm", "logistic"])
+def test_a_look_at_the_loss_of_few_rows_is_one_task(rows, spark, name):
+    """However many partitions the table has; more numbers take more partitions, and none is lost."""
+    sc = spark.sparkContext
+    sc.setJobGroup(f"loss-{name}", "")
+    M.fit(rows.repartition(16), "y", name, features=["x", "z"])
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"loss-{name}") for s in tracker.getJobInfo(j).stageIds]
+    looks = [s.numTasks for s in stages if s and "RDDLossFunction" in s.name]
+    assert looks and set(looks) == {1}
+
+
+def test_gathered(rows, monkeypatch):
+    ready = rows.select("x", "z", F.lit(0.5).alias("__w"))
+    monkeypatch.setattr(M, "CELLS", 400)
+    out, weight = M.gathered(ready, ["x", "z"])
+    assert out.rdd.getNumPartitions() == 4 and weight == 200 and out.exceptAll(ready).isEmpty() and out.count() == 400
+    assert M.gathered(ready.where("false"), ["x", "z"])[0].rdd.getNumPartitions() == 1
