@@ -29,6 +29,30 @@ def test_check_data(rows, spark):
     assert "duplicates" in {r.check for r in Q.check_data(twice.union(twice)).collect()}
 
 
+def stages(spark):
+    """Rows that each stage wrote to a shuffle, by the stage's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+
+def test_checks_count_a_column_at_a_time(spark):
+    """No stage shuffles a row for each column of each row, and rows that an id tells apart aren't compared."""
+    t = spark.createDataFrame([(i, f"n{i}", i % 7, float(i % 500), float(i % 1000)) for i in range(2000)], "id long, name string, seven long, x double, z double")
+    for run in (lambda: Q.check_data(t), lambda: Q.leak(t, "seven")):
+        before = max(stages(spark), default=-1)
+        run().collect()
+        assert 0 < max(n for s, n in stages(spark).items() if s > before) <= 2000
+
+
+def test_distinct_counts(spark):
+    t = spark.sql("SELECT * FROM VALUES (double('NaN'), 'a', null), (double('NaN'), 'A', null), (0.0D, null, null), (-0.0D, 'a', null) AS t(x, k, nothing)").withColumn("one", F.lit(1))
+    assert Q.distinct_counts(t, t.columns) == {"x": 2, "k": 2, "nothing": 0, "one": 1} and Q.distinct_counts(t, []) == {}
+    assert tuple(t.agg(*[F.countDistinct(c) for c in t.columns]).first()) == (2, 2, 0, 1)
+    empty = {(r.check, r.feature) for r in Q.check_data(t.where("false")).collect()}
+    assert ("duplicates", "*") not in empty and ("zero_variance", "x") in empty
+
+
 def test_leak_checks(rows):
     found = {(r.check, r.feature): r for r in Q.leak(rows, "y", rows.limit(50)).collect()}
     assert found["correlation", "leak"].severity == "critical" and ("single_auc", "leak") in found and ("mutual_information", "leak") in found
